@@ -31,9 +31,10 @@ def canonical(text: Column) -> Column:
     """Text without letter case, white space and punctuation; '' for null.
 
     Symbols and accents stay. Upper case before lower case makes one of such forms as ß and
-    SS; formatting goes first, since lower-casing looks at neighbours.
+    SS; formatting goes in between, since lower-casing looks at neighbours (and since the
+    optimizer drops an upper() directly inside a lower()).
     """
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), _FORMATTING, "")))
+    return F.lower(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), _FORMATTING, ""))
 
 
 def canonical_key(*fields: str) -> Column:
