@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from paperloom.llm.ledger import Ledger, copies, in_batches
+from paperloom.llm.packing import pack_documents, window_mixture
+from paperloom.llm.splitting import split_column
 from paperloom.llm.topn import top_n
 from paperloom.llm.tokenizer import encode_column, token_counts
-from paperloom.session import table
+from paperloom.session import materialize, table
 
 _RECORD = ("paper_id", "title")
 
@@ -31,10 +33,23 @@ def p6_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
+def p7_containers(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+def p7_windows(spark, sf_dir):
+    sizes = materialize(token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"), "sizes")
+    return window_mixture(sizes, "doc_id", "source", "n_tokens")
+
+
+def p8_pieces(spark, sf_dir):
+    return split_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 _CANON = r"lower(upper(regexp_replace(coalesce({}, ''), '[\p{{P}}\s\p{{Z}}\x{{85}}\x{{1C}}-\x{{1F}}]', '', 'g')))"
 _CANON_ROWS = f"select ord, {_CANON.format('paper_id')} a, {_CANON.format('title')} b from papers"
 
-QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p5_found": p5_found, "p6_ids": p6_ids, "p6_counts": p6_counts}
+QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p5_found": p5_found, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_windows": p7_windows, "p8_pieces": p8_pieces}
 ORACLE = {
     "p2_found": f"select keep_ord, ord as copy_ord from (select ord, min(ord) over (partition by a, b) keep_ord from ({_CANON_ROWS}) where a <> '' and b <> '') where ord > keep_ord",
     "p2_ledger": f"select min(ord) keep_ord, count(*) n from ({_CANON_ROWS}) where a <> '' and b <> '' group by a, b",
