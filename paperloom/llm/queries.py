@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from paperloom.llm.ledger import Ledger, copies, in_batches
+from paperloom.llm.linkage import link
 from paperloom.llm.lookup import load, map_values, misses
 from paperloom.llm.packing import pack_documents, window_mixture
 from paperloom.llm.splitting import split_column
@@ -22,6 +23,15 @@ def p2_ledger(spark, sf_dir):
     return in_batches(Ledger(spark), table(spark, sf_dir, "papers"), _RECORD, "ord", 4).table().select("keep_ord", "n")
 
 
+def p3_links(spark, sf_dir):
+    arxiv, openalex, semantic = (table(spark, sf_dir, f"list_{x}") for x in ("arxiv", "openalex", "semantic"))
+    return link(arxiv.unionByName(openalex).unionByName(semantic), "ord", "source", "title", "year", "authors")
+
+
+def p3_found(spark, sf_dir):
+    return p3_links(spark, sf_dir).select("ord_a", "ord_b")
+
+
 def p4_values(spark, sf_dir):
     venues = load(table(spark, sf_dir, "venues"), "venue_id", "name", "short_name", "kind")
     return map_values(table(spark, sf_dir, "papers"), "ord", "raw", venues, "venue")
@@ -63,7 +73,7 @@ def p8_pieces(spark, sf_dir):
 _CANON = r"lower(upper(regexp_replace(coalesce({}, ''), '[\p{{P}}\s\p{{Z}}\x{{85}}\x{{1C}}-\x{{1F}}]', '', 'g')))"
 _CANON_ROWS = f"select ord, {_CANON.format('paper_id')} a, {_CANON.format('title')} b from papers"
 
-QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p4_found": p4_found, "p4_values": p4_values, "p4_misses": p4_misses, "p5_found": p5_found, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_windows": p7_windows, "p8_pieces": p8_pieces}
+QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_values": p4_values, "p4_misses": p4_misses, "p5_found": p5_found, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_windows": p7_windows, "p8_pieces": p8_pieces}
 ORACLE = {
     "p2_found": f"select keep_ord, ord as copy_ord from (select ord, min(ord) over (partition by a, b) keep_ord from ({_CANON_ROWS}) where a <> '' and b <> '') where ord > keep_ord",
     "p2_ledger": f"select min(ord) keep_ord, count(*) n from ({_CANON_ROWS}) where a <> '' and b <> '' group by a, b",
