@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import normal, title_fingerprint
+from paperloom.functions.text import normal, strip, title_fingerprint
 
 # Patterns of public identifiers, and prefixes they are written with.
 ARXIV = r"\b(\d{4}\.\d{4,5})(v\d+)?\b"
@@ -51,14 +51,14 @@ def doi(j: Column) -> Column:
 
 def canonical_key(paper_id: Column, title: Column, j: Column, ordinal: Column) -> Column:
     """arxiv:…, else doi:…, else title:…;pid:…, else title:…, else raw:<ordinal>."""
-    pid, name = F.trim(F.coalesce(paper_id, F.lit(""))), title_fingerprint(title)
+    pid, name = strip(F.coalesce(paper_id, F.lit(""))), title_fingerprint(title)
     titled = F.when(name != "", F.when(pid != "", F.concat(F.lit("title:"), name, F.lit(";pid:"), pid)).otherwise(F.concat(F.lit("title:"), name)))
     return F.coalesce(F.concat(F.lit("arxiv:"), arxiv_id(paper_id, j)), F.concat(F.lit("doi:"), doi(j)), titled, F.concat(F.lit("raw:"), ordinal.cast("string")))
 
 
 def normal_id(ident: Column) -> Column:
     """Trimmed, lower case, and without what follows a `v` after digits and dots."""
-    return F.regexp_replace(F.lower(F.trim(F.coalesce(ident, F.lit("")))), r"^([0-9.]*[0-9][0-9.]*)v.*$", "$1")
+    return F.regexp_replace(F.lower(strip(F.coalesce(ident, F.lit("")))), r"^([0-9.]*[0-9][0-9.]*)v.*$", "$1")
 
 
 def is_arxiv_id(ident: Column) -> Column:
@@ -77,14 +77,14 @@ def lookup_key(paper_id: Column, j: Column) -> Column:
 
 def s2_query_id(paper_id: Column, j: Column) -> Column:
     """Provider's own id, else CorpusId, arXiv id, DOI, or the paper's id."""
-    own = F.trim(member(j, "paperId"))
+    own = strip(member(j, "paperId"))
     own = F.when((own != "") & ~is_arxiv_id(own) & ((F.length(own) >= 20) | own.rlike(r"^[\p{L}\p{N}]+$")), own)
-    corpus = F.nullif(F.trim(member(j, "externalIds.CorpusId")), F.lit(""))
+    corpus = F.nullif(strip(member(j, "externalIds.CorpusId")), F.lit(""))
     outer = F.coalesce(F.nullif(member(j, "externalIds.ArXiv"), F.lit("")), member(j, "externalIds.arXiv"))
     outer = F.nullif(F.split_part(F.regexp_extract(outer, r"([^/]*)$", 1), F.lit("v"), F.lit(1)), F.lit(""))
-    ext_doi = F.nullif(F.trim(F.coalesce(F.nullif(member(j, "externalIds.DOI"), F.lit("")), member(j, "externalIds.doi"))), F.lit(""))
+    ext_doi = F.nullif(strip(F.coalesce(F.nullif(member(j, "externalIds.DOI"), F.lit("")), member(j, "externalIds.doi"))), F.lit(""))
     return F.coalesce(
-        own, F.concat(F.lit("CorpusId:"), corpus), F.concat(F.lit("ARXIV:"), outer), F.concat(F.lit("DOI:"), ext_doi), F.concat(F.lit("ARXIV:"), arxiv_id(paper_id, j)), F.concat(F.lit("DOI:"), doi(j)), F.trim(F.coalesce(paper_id, F.lit("")))
+        own, F.concat(F.lit("CorpusId:"), corpus), F.concat(F.lit("ARXIV:"), outer), F.concat(F.lit("DOI:"), ext_doi), F.concat(F.lit("ARXIV:"), arxiv_id(paper_id, j)), F.concat(F.lit("DOI:"), doi(j)), strip(F.coalesce(paper_id, F.lit("")))
     )
 
 
@@ -92,7 +92,7 @@ def alias_forms(values: Column) -> Column:
     """Each id of an array in normal form, with and without the known prefixes, once."""
 
     def forms(v: Column) -> Column:
-        v = F.trim(v)
+        v = strip(v)
         cut = [F.when(F.lower(v).startswith(p), normal(F.substring(v, len(p) + 1, 10_000))) for p in PREFIXES]
         return F.array(normal(v), *cut)
 
@@ -114,17 +114,18 @@ def aliases(paper_id: Column, j: Column) -> Column:
 def citation_count(j: Column) -> Column:
     """The first whole number, or text of digits, of four names, at least 0; null if none."""
     texts = [member(j, k) for k in COUNT_KEYS]
-    return F.greatest(F.coalesce(*[F.when(t.rlike("^-?[0-9]+$"), t.try_cast("bigint")) for t in texts]), F.lit(0))
+    n = F.coalesce(*[F.when(t.rlike("^-?[0-9]+$"), t.try_cast("bigint")) for t in texts])
+    return F.when(n.isNotNull(), F.greatest(n, F.lit(0)))
 
 
 def venue(j: Column) -> Column:
     """The first venue of three names that isn't blank, a text or the name of an object; '' if none."""
-    found = [F.nullif(F.trim(F.coalesce(member(j, k), member(j, f"{k}.name"))), F.lit("")) for k in VENUE_KEYS]
+    found = [F.nullif(strip(F.coalesce(member(j, k), member(j, f"{k}.name"))), F.lit("")) for k in VENUE_KEYS]
     return F.coalesce(*found, F.lit(""))
 
 
 def url(paper_id: Column, j: Column) -> Column:
     """The first web address of four names (a text or an object's url), the DOI's or arXiv's address, or ''."""
     web = [F.when(x.startswith("http"), x) for k in ("url", "openAccessPdf", "landing_page_url", "doi_url") for x in (member(j, k), member(j, f"{k}.url"))]
-    d = F.nullif(F.trim(member(j, "doi")), F.lit(""))
+    d = F.nullif(strip(member(j, "doi")), F.lit(""))
     return F.coalesce(*web, F.when(d.startswith("http"), d).otherwise(F.concat(F.lit("https://doi.org/"), d)), F.when(is_arxiv_id(paper_id), F.concat(F.lit("https://arxiv.org/abs/"), paper_id)), F.lit(""))

@@ -29,6 +29,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends; null stays null."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normal(text: Column) -> Column:
     """squeeze() in lower case."""
     return squeeze(F.lower(text))

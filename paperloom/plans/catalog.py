@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from paperloom.plans import shredding
+from paperloom.plans import identity, scoring, shredding
 
-FLAGSHIP = "p1_found"
-QUERIES = {**shredding.QUERIES}
-ORACLE = {**shredding.ORACLE}
+FLAGSHIP = "flt_pass"
+QUERIES = {**shredding.QUERIES, **identity.query.queries, **scoring.query.queries}
+ORACLE = {**shredding.ORACLE, **identity.query.oracle, **scoring.query.oracle}
