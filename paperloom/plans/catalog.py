@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from paperloom.plans import identity, scoring, shredding
+from paperloom.plans import evaluation, identity, scoring, shredding
 
 FLAGSHIP = "flt_pass"
-QUERIES = {**shredding.QUERIES, **identity.query.queries, **scoring.query.queries}
-ORACLE = {**shredding.ORACLE, **identity.query.oracle, **scoring.query.oracle}
+_PARTS = (identity, scoring, evaluation)
+QUERIES = {**shredding.QUERIES, **{k: f for part in _PARTS for k, f in part.query.queries.items()}}
+ORACLE = {**shredding.ORACLE, **{k: s for part in _PARTS for k, s in part.query.oracle.items()}}
