@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from paperloom.plans import evaluation, identity, scoring, shredding
+from paperloom.plans import evaluation, graphs, identity, scoring, shredding
 
 FLAGSHIP = "flt_pass"
-_PARTS = (identity, scoring, evaluation)
+_PARTS = (identity, scoring, evaluation, graphs)
 QUERIES = {**shredding.QUERIES, **{k: f for part in _PARTS for k, f in part.query.queries.items()}}
 ORACLE = {**shredding.ORACLE, **{k: s for part in _PARTS for k, s in part.query.oracle.items()}}
