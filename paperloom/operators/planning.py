@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text, understanding, variants
+from paperloom.session import materialize
 
 TERM = "struct<text:string,role:string,abbrev:string,synonyms:array<string>,instances:array<string>,gap:boolean,required:boolean,replaceable:boolean>"
 PART = "struct<id:string,text:string,required:boolean,replaceable:boolean,variants:array<string>>"
@@ -252,7 +253,9 @@ def understand(rows: DataFrame, reading: str | None = None, most: int = 5, decom
     short = F.size(F.split(F.col("topic"), " ")) <= 2
     own = F.array_compact(F.array(F.when(F.col("topic") != "", plain_term(F.col("topic"), "topic", F.when(short, True))), F.when(F.col("method").isNotNull() & ~F.contains(F.lower("topic"), F.lower("method")), plain_term(F.col("method"), "method", F.lit(None).cast("boolean")))))
     out = out.withColumn("terms", F.coalesce("read_terms", own)).drop("read_terms")
-    out = with_skeleton(out, F.get_json_object(read, "$.query_skeleton"))
+    # Each stage's expressions are large and used more than once; inlined into one another they
+    # would grow without bound, so stages are cut by writing these small rows.
+    out = materialize(with_skeleton(materialize(out, "terms"), F.get_json_object(read, "$.query_skeleton")), "skeletons")
     said = got("coverage_gap_likely").try_cast("boolean")
     out = out.withColumn("gap", F.coalesce(said, F.lit(False)) | F.col("claim").isNotNull() | F.exists("terms", lambda t: F.coalesce(t["gap"], F.lit(False))) | variants.gap_likely(F.col("skeleton.core")))
     split = auto_decompose(F.col("intent"), F.col("skeleton"), F.col("terms")) if decompose is None else F.lit(decompose)
@@ -260,7 +263,7 @@ def understand(rows: DataFrame, reading: str | None = None, most: int = 5, decom
     out = out.withColumn("_criteria", criteria(q, F.col("topic"), F.col("method"), F.col("claim"), F.col("negation"), F.col("terms")))
     out = out.withColumn("criteria", weigh(F.col("_criteria"), F.col("intent"))).drop("_criteria")
     out = out.withColumn("_tasks", all_tasks(q, F.col("intent"), F.col("topic"), F.col("authors"), F.col("skeleton"), F.col("terms"), F.col("gap"), F.col("_split")))
-    return out.withColumn("tasks", budget(F.col("_tasks"), most)).drop("_split", "_tasks")
+    return materialize(materialize(out, "tasks").withColumn("tasks", budget(F.col("_tasks"), most)).drop("_split", "_tasks"), "plans")
 
 
 def sub_queries(understood: DataFrame, most: int = 5) -> DataFrame:
