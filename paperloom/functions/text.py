@@ -141,7 +141,7 @@ def looks_like_claim(text: Column) -> Column:
 def strip_fence(text: Column) -> Column:
     """The inside of a first code fence, or the text itself."""
     inside = F.regexp_extract(text, r"(?s)```(?:json)?(.*?)(?:```|$)", 1)
-    return F.trim(F.when(text.contains("```"), inside).otherwise(text))
+    return strip(F.when(text.contains("```"), inside).otherwise(text))
 
 
 def loose_json(text: Column, opening: str = "{", closing: str = "}") -> Column:

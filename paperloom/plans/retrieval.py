@@ -100,13 +100,14 @@ def fn_stem(spark, sf_dir):
     return pairs.select("a", "b", variants.high_confidence("a", "b").alias("ok"))
 
 
-_READING = F.to_json(F.struct(F.struct(F.col("year").alias("year_from")).alias("filters"), F.array(F.struct(F.col("title").alias("canonical"), F.array(F.lower("title"), F.col("abstract")).alias("variants"))).alias("term_groups")))
+def _reading():
+    return F.to_json(F.struct(F.struct(F.col("year").alias("year_from")).alias("filters"), F.array(F.struct(F.col("title").alias("canonical"), F.array(F.lower("title"), F.col("abstract")).alias("variants"))).alias("term_groups")))
 
 
 @query("fn_slot_norm")
 def fn_slot_norm(spark, sf_dir):
     """Papers as a model's reading of a question: terms in one form."""
-    rows = table(spark, sf_dir, "papers").withColumn("reading", _READING)
+    rows = table(spark, sf_dir, "papers").withColumn("reading", _reading())
     terms = planning.terms_of(F.get_json_object("reading", "$.term_groups"))
     return rows.select("ord", F.explode(terms).alias("t")).select("ord", "t.text", "t.required", "t.replaceable", F.size("t.synonyms").alias("n_synonyms"))
 
