@@ -17,7 +17,7 @@ from paperloom.plans import sqltext as Q
 from paperloom.plans.identity import PJ, papers
 from paperloom.plans.registry import Registry
 from paperloom.plans.scoring import RULES, candidates
-from paperloom.session import table
+from paperloom.session import materialize, table
 
 query = Registry()
 
@@ -27,15 +27,15 @@ def understood(spark, sf_dir):
 
 
 def sub_queries(spark, sf_dir):
-    return planning.sub_queries(understood(spark, sf_dir))
+    return materialize(planning.sub_queries(understood(spark, sf_dir)), "subqueries")
 
 
-def hits(spark, sf_dir):
+def hits(spark, sf_dir, asked):
     known = pool.described(table(spark, sf_dir, "papers")).select("paper_id", "ckey", F.lower(F.trim("source")).alias("source"))
     rows = table(spark, sf_dir, "scored").where("qid is not null and score is not null and not isnan(score)").join(known, "paper_id").where("source is not null")
     order = Window.partitionBy("qid", "source").orderBy(F.col("score").desc(), "ord")
     top = rows.withColumn("hit_rank", F.row_number().over(order)).where("hit_rank <= 10").select("qid", "source", "hit_rank", F.col("ckey").alias("key"), "paper_id")
-    return top.join(sub_queries(spark, sf_dir).select("qid", "sqid"), "qid").select("qid", "sqid", "source", "hit_rank", "key", "paper_id")
+    return top.join(asked.select("qid", "sqid"), "qid").select("qid", "sqid", "source", "hit_rank", "key", "paper_id")
 
 
 @query("op_understand")
@@ -231,8 +231,10 @@ def join_term_part(spark, sf_dir):
     return a.join(table(spark, sf_dir, "papers").select("ord", F.lower("title").alias("t")), "t").select("qid", "ord")
 
 
-def calls(spark, sf_dir):
-    return R.trace(sub_queries(spark, sf_dir), hits(spark, sf_dir))
+def calls_and_hits(spark, sf_dir):
+    asked = sub_queries(spark, sf_dir)
+    found = hits(spark, sf_dir, asked)
+    return R.trace(asked, found), found
 
 
 @query("src_run")
@@ -242,18 +244,18 @@ def src_run(spark, sf_dir):
 
 @query("win_retrieve_order")
 def win_retrieve_order(spark, sf_dir):
-    return R.retrieve(calls(spark, sf_dir), hits(spark, sf_dir)).select("qid", "key", "paper_id", "source", "cord")
+    return R.retrieve(*calls_and_hits(spark, sf_dir)).select("qid", "key", "paper_id", "source", "cord")
 
 
 @query("set_union_sources", f"""with {Q.FIRST}, d as (select paper_id, {Q.key()} as ckey, lower(trim(source)) as src from fp), h as (select s.qid, d.src, d.ckey from scored s join d using (paper_id) where s.qid is not null and s.score is not null and not isnan(s.score) and d.src is not null
  qualify row_number() over (partition by s.qid, d.src order by s.score desc, s.ord) <= 10) select distinct qid, ckey as key from h where src in ('arxiv', 'openalex', 'semantic') and qid in (select qid from eval_rows)""")
 def set_union_sources(spark, sf_dir):
-    return R.retrieve(calls(spark, sf_dir), hits(spark, sf_dir)).select("qid", "key")
+    return R.retrieve(*calls_and_hits(spark, sf_dir)).select("qid", "key")
 
 
 @query("agg_calls")
 def agg_calls(spark, sf_dir):
-    return R.call_stats(calls(spark, sf_dir))
+    return R.call_stats(calls_and_hits(spark, sf_dir)[0])
 
 
 @query("agg_trace_errors", "select seed_id, string_agg(distinct via, ',' order by via) as failed from edges where not coalesce(ok, false) and seed_id is not null group by seed_id")
