@@ -109,3 +109,31 @@ def encode(rows: DataFrame, text: str, encoder: Callable[[list[str]], list[list[
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["text", "vector"])
 
     return texts.mapInArrow(run, "text string, vector array<double>")
+
+
+def ask(rows: DataFrame, prompt: str, model: Backend) -> DataFrame:
+    """prompt, reply: the model's reply to each distinct prompt of a column; null where it fails. Null prompts aren't asked."""
+    prompts = rows.select(F.col(prompt).alias("prompt")).where("prompt is not null").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p in b.column(0).to_pylist():
+                try:
+                    out.append(model(p))
+                except Exception:  # noqa: BLE001
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["prompt", "reply"])
+
+    return prompts.mapInArrow(run, "prompt string, reply string")
+
+
+def stub_reader(question: str) -> str:
+    """A reading of a question: its words as one term, fenced."""
+    return "```json\n" + json.dumps({"intent": "method", "topic": question.strip(" ?"), "term_groups": [{"canonical": question.strip(" ?"), "variants": [question.lower()]}]}) + "\n```"
+
+
+def stub_rephraser(question: str) -> str:
+    """Phrasings of a question as a JSON array: itself, its words turned round, and a longer one."""
+    words = question.strip(" ?").split()
+    return json.dumps([question, " ".join(words[::-1]), " ".join([*words[: len(words) // 2], "approaches", "overview", "recent", "progress"])])

@@ -80,10 +80,20 @@ class IdCache:
         return self.table().count()
 
 
+ARTICLE = "MedlineCitation struct<PMID:string,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<string>>,Journal:struct<JournalIssue:struct<PubDate:struct<Year:int,Month:string>>>>>, PubmedData struct<ReferenceList:struct<Reference:array<string>>>"
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """id, title, abstract, year, month, n_references out of XML records of biomedical articles. Month names become numbers, absent ones null."""
-    schema = "MedlineCitation struct<PMID:string,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<string>>,Journal:struct<JournalIssue:struct<PubDate:struct<Year:int,Month:string>>>>>, PubmedData struct<ReferenceList:struct<Reference:array<string>>>"
-    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path)
+    """id, title, abstract, year, month, n_references out of XML files of biomedical articles. Month names become numbers, absent ones null."""
+    return _articles(spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path))
+
+
+def parse_articles(rows: DataFrame, record: str) -> DataFrame:
+    """read_articles() of records that are already rows."""
+    return _articles(rows.select(F.from_xml(F.col(record), ARTICLE).alias("x")).select("x.*"))
+
+
+def _articles(rows: DataFrame) -> DataFrame:
     date = "MedlineCitation.Article.Journal.JournalIssue.PubDate"
     month = F.col(f"{date}.Month")
     number = month.try_cast("int")
