@@ -233,7 +233,7 @@ def join_term_part(spark, sf_dir):
 
 def calls_and_hits(spark, sf_dir):
     asked = sub_queries(spark, sf_dir)
-    found = hits(spark, sf_dir, asked)
+    found = materialize(hits(spark, sf_dir, asked), "hits")
     return R.trace(asked, found), found
 
 
