@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.identity import is_arxiv_id, normal_id
-from paperloom.functions.scoring import round4
 from paperloom.functions.text import letters
 
 
@@ -82,5 +81,3 @@ def fuse(lanes: DataFrame, k: int = 60, most: int = 20) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.col("fused").desc(), "paper_id")
     return total.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= most)
 
-
-__all__ = ["fuse", "gold", "id_sets", "macro", "macro_report", "prf", "ranked_predictions", "round4", "samples", "statistics"]

@@ -7,13 +7,13 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import identity, text, understanding, variants
 from paperloom.functions.scoring import round4
-from paperloom.operators import evaluate, hooks, organize, planning, pool, ranking
+from paperloom.operators import evaluate, hooks, organize, planning, ranking
 from paperloom.operators import retrieval as R
 from paperloom.operators.shred import PAPER_ENTITIES, entities
 from paperloom.plans import sqltext as Q
 from paperloom.plans.identity import PJ, papers
 from paperloom.plans.registry import Registry
-from paperloom.plans.retrieval import sub_queries, understood
+from paperloom.plans.retrieval import sub_queries
 from paperloom.plans.scoring import FILTERED, ORDER, candidates, filtered
 from paperloom.session import shared_path, table
 from paperloom.sources import files
@@ -221,5 +221,3 @@ def op_run(spark, sf_dir):
     lists = organize.groups(tiered).groupBy("qid").agg(F.to_json(F.array_sort(F.collect_list(F.struct("tier", "n", "paper_ids")))).alias("groups"))
     return lists.join(organize.funnel(full, full.where("passed"), tiered), "qid")
 
-
-__all__ = ["pool", "query", "understood"]

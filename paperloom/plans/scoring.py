@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions import scoring as S
 from paperloom.operators import pool, ranking
@@ -153,7 +152,6 @@ def win_seeds(spark, sf_dir):
 
 
 # Vectors: the first vector of each label stands for that label's question, the vectors for papers by doc_id.
-_COS = "list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2]))"
 _LABELS = "q as (select label, embedding::double[] as a from embeddings qualify row_number() over (partition by label order by vec_id) = 1)"
 
 
@@ -229,4 +227,3 @@ def fn_tier_cut(spark, sf_dir):
     return tiered(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-__all__ = ["CANDIDATES", "FILTERED", "Window", "candidates", "filtered", "query", "tiered"]
