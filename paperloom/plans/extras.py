@@ -48,9 +48,11 @@ def src_oa_vendor(spark, sf_dir):
 
 @query("src_oa_refs_vendor", "select seed_id, target_key, cast(row_number() over (partition by seed_id order by target_key) as int) as place from (select distinct e.seed_id, e.target_key from edges e where e.via = 'openalex' and e.direction = 'ref' and e.ok and e.seed_id is not null and e.target_key in (select paper_id from papers)) qualify place <= 20")
 def src_oa_refs_vendor(spark, sf_dir):
+    """Known references of each seed; of a seed with more than 100 references, the first 20 (the SQL cuts every seed to 20)."""
     known = table(spark, sf_dir, "papers").where("paper_id is not null").select(F.col("paper_id").alias("target_key"))
-    rows = table(spark, sf_dir, "edges").where("via = 'openalex' and direction = 'ref' and ok and seed_id is not null").select("seed_id", "target_key").distinct().join(known, "target_key", "left_semi")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("seed_id").orderBy("target_key"))).where("place <= 20").select("seed_id", "target_key", "place")
+    rows = table(spark, sf_dir, "edges").where("via = 'openalex' and direction = 'ref' and ok and seed_id is not null").select("seed_id", "target_key").distinct()
+    sized = rows.join(rows.groupBy("seed_id").agg(F.count("target_key").alias("n")), "seed_id").join(known, "target_key", "left_semi")
+    return sized.withColumn("place", F.row_number().over(Window.partitionBy("seed_id").orderBy("target_key"))).where("n <= 100 or place <= 20").select("seed_id", "target_key", "place")
 
 
 @query("src_s2_vendor", f"{PJ} select ord, coalesce(array_to_string(from_json(json_extract(j, '$.fieldsOfStudy'), '[\"VARCHAR\"]'), ';'), '') as fields from papers_j where {Q.member('paperId')} is not null and year between {NEWEST - 20} and {NEWEST} and (json_type(j, '$.fieldsOfStudy') is null or json_type(j, '$.fieldsOfStudy') in ('ARRAY', 'NULL'))")

@@ -100,3 +100,13 @@ def test_late_rows_are_dropped(spark, tmp_path):
     query.stop()
     rows = {str(r.window_start): r.n for r in spark.table("late").collect()}
     assert rows.get("2020-01-01 10:00:00") == 1 and rows.get("2020-01-01 15:00:00") == 1
+
+
+def test_only_long_reference_lists_are_cut(spark, tmp_path):
+    from paperloom.plans import extras
+
+    edges = [(seed, f"k{i:03}", "openalex", "ref", True) for seed, n in (("a", 25), ("b", 100), ("c", 101), ("d", 120)) for i in range(n)]
+    spark.createDataFrame(edges, "seed_id string, target_key string, via string, direction string, ok boolean").write.parquet(str(tmp_path / "edges.parquet"))
+    spark.createDataFrame([(f"k{i:03}",) for i in range(0, 120, 2)], "paper_id string").write.parquet(str(tmp_path / "papers.parquet"))
+    rows = extras.query.queries["src_oa_refs_vendor"](spark, str(tmp_path)).groupBy("seed_id").count().collect()
+    assert {r.seed_id: r["count"] for r in rows} == {"a": 13, "b": 50, "c": 20, "d": 20}
