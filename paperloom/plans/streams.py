@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paperloom.functions.scoring import round4
+from paperloom.operators.shred import parse_payload
 from paperloom.plans.registry import Registry
 from paperloom.session import shared_path, table
 from paperloom.sources import files, providers
@@ -60,17 +64,24 @@ def src_arxiv_batch(spark, sf_dir):
     return hit.select("id", F.lit(True).alias("cached")).unionByName(miss.select("id", F.lit(False).alias("cached")))
 
 
+def _lines(batches):
+    """Each payload as one line, unwrapped; what holds no object is passed over."""
+    for batch in batches:
+        works = (parse_payload(x) for x in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(w) for w in works if w is not None], pa.string())], names=["value"])
+
+
 def _provider(name: str, provider: str):
     @query(name)
     def read(spark, sf_dir):
         path = shared_path(spark, "works")
-        table(spark, sf_dir, "papers").where(F.col("raw").startswith("{")).select(F.regexp_replace("raw", r"[\r\n]+", " ").alias("value")).coalesce(1).write.option("compression", "none").text(path)
+        table(spark, sf_dir, "papers").select("raw").mapInArrow(_lines, "value string").coalesce(1).write.option("compression", "none").text(path)
         providers.register(spark)
         files_path = path.removeprefix("file://")
         import os
 
         single = next(os.path.join(files_path, f) for f in os.listdir(files_path) if f.endswith(".txt"))
-        return spark.read.format("papers").option("path", single).option("provider", provider).load().where("year >= 2015").select("provider", "place", "paper_id", "title", "year")
+        return spark.read.format("papers").option("path", single).option("provider", provider).load().select("provider", "place", "paper_id", "title", "year")
 
     return read
 

@@ -102,6 +102,16 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert rows.get("2020-01-01 10:00:00") == 1 and rows.get("2020-01-01 15:00:00") == 1
 
 
+def test_provider_queries_read_all_payloads(spark, tmp_path):
+    from paperloom.plans import streams
+
+    work = lambda k, year: json.dumps({"id": k, "title": "a\nb", "publication_year": year})
+    raw = [work("W1", 2020), work("W2", 1999), work("W3", None), json.dumps(work("W4", 2016)), " \n" + work("W5", 2017), "broken", None]
+    spark.createDataFrame([(x,) for x in raw], "raw string").write.parquet(str(tmp_path / "papers.parquet"))
+    got = {r.paper_id: r.year for r in streams.query.queries["src_openalex"](spark, str(tmp_path)).collect()}
+    assert got == {"W1": 2020, "W2": 1999, "W3": None, "W4": 2016, "W5": 2017}
+
+
 def test_only_long_reference_lists_are_cut(spark, tmp_path):
     from paperloom.plans import extras
 
