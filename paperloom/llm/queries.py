@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from paperloom.llm.ledger import Ledger, copies, in_batches
-from paperloom.llm.linkage import link
+from paperloom.llm.linkage import link, link_classes
 from paperloom.llm.lookup import load, map_values, misses
 from paperloom.llm.packing import pack_documents, window_mixture
 from paperloom.llm.splitting import split_column
@@ -23,13 +23,17 @@ def p2_ledger(spark, sf_dir):
     return in_batches(Ledger(spark), table(spark, sf_dir, "papers"), _RECORD, "ord", 4).table().select("keep_ord", "n")
 
 
-def p3_links(spark, sf_dir):
+def _listings(spark, sf_dir):
     arxiv, openalex, semantic = (table(spark, sf_dir, f"list_{x}") for x in ("arxiv", "openalex", "semantic"))
-    return link(arxiv.unionByName(openalex).unionByName(semantic), "ord", "source", "title", "year", "authors")
+    return arxiv.unionByName(openalex).unionByName(semantic), "ord", "source", "title", "year", "authors"
 
 
 def p3_found(spark, sf_dir):
-    return p3_links(spark, sf_dir).select("ord_a", "ord_b")
+    return link(*_listings(spark, sf_dir)).select("ord_a", "ord_b")
+
+
+def p3_links(spark, sf_dir):
+    return link_classes(*_listings(spark, sf_dir))
 
 
 def p4_values(spark, sf_dir):
