@@ -19,6 +19,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.shred import parse_payload
+from paperloom.session import materialize
 
 #: Letters deleted on either side, and thus the largest edit distance.
 EDITS = 2
 #: Largest cost of an alignment, and the costs it is made of.
 BOUND, FIRST_MISSING, MISSING, EXTRA, ABBREVIATED, SKELETON = 3.6, 1.5, 4.0, 4.0, 0.2, 0.5
-#: The reference list is broadcast; a longer one is refused.
+#: Entries of a reference list that are broadcast at once; a longer list is looked up block by block.
 MAX_ENTRIES = 200_000
 #: Typed values a worker keeps with their results.
 KEPT = 50_000
@@ -133,8 +135,9 @@ class Dictionary:
         for term in self.terms:
             for d in deletions(term, max(1, allowed(len(term)))):
                 self.deleted.setdefault(d, set()).add(term)
+        self.longest = max(map(len, self.terms), default=0)
         self._words: dict[str, dict[str, float]] = {}
-        self._values: dict[str, int] = {}
+        self._values: dict[str, tuple[int, float, int, int]] = {}
 
     def _term(self, term: str, word: str, cost: float) -> None:
         means = self.terms.setdefault(term, {})
@@ -152,8 +155,8 @@ class Dictionary:
     def _candidates(self, typed: str) -> dict[str, float]:
         stopped, typed = typed.endswith("."), typed.rstrip(".")
         out: dict[str, float] = {}
-        if len(typed) > 40:
-            return out
+        if len(typed) > self.longest + EDITS:
+            return out  # no term is within the distance
         for word, cost in self.terms.get(typed, {}).items():
             if cost == 0 or len(typed) >= 3 or stopped:
                 out[word] = cost
@@ -197,10 +200,10 @@ class Dictionary:
         typed = [w for w in words_of(text) if w.rstrip(".") not in STOP_WORDS and not _ORDINAL.match(w.rstrip("."))]
         return [self.candidates(w) for w in typed]
 
-    def by_name(self, text: str) -> int | None:
-        """The entry a name stands for."""
+    def by_name(self, text: str) -> tuple[float, int, int] | None:
+        """Cost, frequency (negative) and id of the entry a name stands for."""
         means = self.means(text)
-        if not means or len(means) > 30:
+        if not means:
             return None
         votes: dict[int, int] = {}
         for m in means:
@@ -216,7 +219,7 @@ class Dictionary:
                 rank = (round(cost, 6), -sum(self.frequency[w] for w in words), ident)
                 if best is None or rank < best:
                     best = rank
-        return best[2] if best else None
+        return best
 
     def by_short_name(self, text: str) -> int | None:
         letters = _YEAR.sub("", text)
@@ -224,17 +227,21 @@ class Dictionary:
 
     def lookup(self, value: str) -> int:
         """Id of the entry a typed value means, -1 if none."""
+        return self.ranked(value)[3]
+
+    def ranked(self, value: str) -> tuple[int, float, int, int]:
+        """Step, cost, frequency (negative) and id of the entry a typed value means; the least of several dictionaries' is the best. (99, 0, 0, -1) if none."""
         known = self._values.get(value)
         if known is None:
             if len(self._values) >= KEPT:
                 self._values.clear()
-            known = self._values[value] = self._lookup(value)
+            known = self._values[value] = self._ranked(value)
         return known
 
-    def _lookup(self, value: str) -> int:
+    def _ranked(self, value: str) -> tuple[int, float, int, int]:
         text = plain(value)
         if (found := self.by_short_name(text)) is not None:
-            return found
+            return 0, 0.0, 0, found
         inside = _PARENTHESIS.findall(text)
         name = _PARENTHESIS.sub(" ", text)
         name = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", name)
@@ -243,13 +250,13 @@ class Dictionary:
         if len(parts) > 1:
             turned = any(w and cost <= 2 for m in self.means(_YEAR.sub("", parts[1])) for w, cost in m.items())
             readings = [f"{parts[1]} {parts[0]}"] if turned else [parts[0], name]
-        for reading in readings:
-            if (found := self.by_name(_YEAR.sub("", reading))) is not None:
-                return found
+        for step, reading in enumerate(readings):
+            if (best := self.by_name(_YEAR.sub("", reading))) is not None:
+                return step + 1, *best
         for part in (*inside, parts[0]):
             if (found := self.by_short_name(part.strip())) is not None:
-                return found
-        return -1
+                return 9, 0.0, 0, found
+        return 99, 0.0, 0, -1
 
 
 def load(reference: DataFrame, ident: str, name: str, short: str, kind: str) -> list[tuple[int, str | None, str | None, str | None]]:
@@ -281,9 +288,33 @@ def map_values(df: DataFrame, key: str, value: str, entries: list[tuple[int, str
     Values that aren't text are taken as their JSON text. Repeated rows give repeated rows,
     an empty reference list -1 everywhere. Other columns are not read.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(value).cast("string").alias("v")).where("v is not null")
+    return _ranked_values(df.select(F.col(key).alias("k"), F.col(value).cast("string").alias("v")), entries, member).select(F.col("k").alias(key), "value", "entry")
+
+
+def map_to_list(df: DataFrame, key: str, value: str, reference: DataFrame, ident: str, name: str, short: str, kind: str, member: str | None = None) -> DataFrame:
+    """As map_values, for a reference list of any length.
+
+    A list of more than MAX_ENTRIES is broadcast block by block (each row's block is the hash of
+    its id); every value is looked up in each block and the best of the blocks' entries is its own.
+    """
+    n = reference.count()
+    if n <= MAX_ENTRIES:
+        return map_values(df, key, value, load(reference, ident, name, short, kind), member)
+    blocks = -(-2 * n // MAX_ENTRIES)  # half full on average, so that uneven hashes don't matter
+    rows = materialize(df.select(F.col(key).alias("k"), F.col(value).cast("string").alias("v")).withColumn("row", F.monotonically_increasing_id()), "typed")
+    found = []
+    for b in range(blocks):
+        entries = load(reference.where(F.pmod(F.xxhash64(ident), F.lit(blocks)) == b), ident, name, short, kind)
+        found.append(_ranked_values(rows.select(F.struct("row", "k").alias("k"), "v"), entries, member))
+    best = reduce(DataFrame.unionByName, found).groupBy("k.row").agg(F.min(F.struct("step", "cost", "rare", "entry")).alias("best"), F.first("k.k").alias("k"), F.first("value").alias("value"))
+    return best.select(F.col("k").alias(key), "value", "best.entry")
+
+
+def _ranked_values(rows: DataFrame, entries: list[tuple[int, str | None, str | None, str | None]], member: str | None) -> DataFrame:
+    """k, value, entry, step, cost, rare of rows (k, v)."""
+    rows = rows.where("v is not null")
     kind = rows.schema["k"].dataType.simpleString()
-    shipped = df.sparkSession.sparkContext.broadcast(entries)
+    shipped = rows.sparkSession.sparkContext.broadcast(entries)
 
     def typed_of(text: str) -> str | None:
         if member is None:
@@ -305,10 +336,11 @@ def map_values(df: DataFrame, key: str, value: str, entries: list[tuple[int, str
                 if value is not None and value.strip():
                     at.append(i)
                     typed.append(value if value.isascii() else value.encode("utf-8", "replace").decode())
-                    found.append(dictionary.lookup(value))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(typed, pa.string()), pa.array(found, pa.int32())], names=["k", "value", "entry"])
+                    found.append(dictionary.ranked(value))
+            step, cost, rare, entry = (pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(typed, pa.string()), entry, step, cost, rare], names=["k", "value", "entry", "step", "cost", "rare"])
 
-    return rows.mapInArrow(run, f"k {kind}, value string, entry int").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {kind}, value string, entry int, step int, cost double, rare bigint")
 
 
 def misses(mapped: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from paperloom.llm.ledger import Ledger, copies, in_batches
 from paperloom.llm.linkage import link, link_classes
-from paperloom.llm.lookup import load, map_values, misses
+from paperloom.llm.lookup import map_to_list, misses
 from paperloom.llm.packing import pack_documents, window_mixture
 from paperloom.llm.splitting import split_column
 from paperloom.llm.topn import top_n
@@ -37,8 +37,7 @@ def p3_links(spark, sf_dir):
 
 
 def p4_values(spark, sf_dir):
-    venues = load(table(spark, sf_dir, "venues"), "venue_id", "name", "short_name", "kind")
-    return map_values(table(spark, sf_dir, "papers"), "ord", "raw", venues, "venue")
+    return map_to_list(table(spark, sf_dir, "papers"), "ord", "raw", table(spark, sf_dir, "venues"), "venue_id", "name", "short_name", "kind", "venue")
 
 
 def p4_found(spark, sf_dir):

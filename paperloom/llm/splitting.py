@@ -2,9 +2,12 @@
 
 Structure-tree packing. The text is parsed into a tree whose levels are sections by heading
 depth, blocks, list items and lines, indented items and lines, sentences, clauses and words
-of the tokenizer. A node within the limit is never opened; neighbouring siblings are merged
-as long as they fit; only a node that is too large by itself is descended into. A word that
-alone exceeds the limit is cut between its tokens, at a character.
+of the tokenizer. Only a node too large for a piece is descended into; what is left are the
+largest subtrees that fit, in order. These are merged bottom-up: neighbours are joined as long
+as they fit, a small rest of one node with the beginning of its next sibling, and where a piece
+must end it ends at the boundary highest in the tree that leaves it FILL full, never between a
+heading and what follows if another place will do. A word that alone exceeds the limit is cut
+between its tokens, at a character.
 
 Each piece after the first repeats the last `overlap` tokens of the piece before (fewer only
 where such a cut would fall inside a character, or change how the rest is pre-split). The
@@ -26,6 +29,10 @@ from paperloom.llm.tokenizer import FOLDER, Automaton, compiled, pack, presplit
 
 # Levels of the tree; headings have 1 to 6.
 BLOCK, LINE, INDENTED, SENTENCE, CLAUSE, WORD = 7, 8, 9, 10, 11, 12
+#: Level of the place between a heading and what follows.
+GLUED = 13
+#: Share of a piece that must be filled before it may end at a boundary higher than the last possible one.
+FILL = 0.8
 
 _LINE = re.compile("[^\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]|$)")
 _MARKDOWN = re.compile(r"(#{1,6})[ \t]+\S")
@@ -105,6 +112,9 @@ class _Tree:
         if units:
             at = np.searchsorted(self.chars, [u[0] for u in units])
             np.minimum.at(level, at, np.array([u[1] for u in units], np.int8))
+            self.glued = {int(w) for u, v, w in zip(units, units[1:], at[1:].tolist(), strict=False) if u[1] <= 6 < v[1]}
+        else:
+            self.glued = set()
         self.level = level
         self.out: list[tuple[int, int]] = []
 
@@ -123,27 +133,49 @@ class _Tree:
             inner = (np.flatnonzero(self.level[i + 1 : j] <= depth) + i + 1).tolist()
         return [i, *inner, j]
 
-    def pack(self, i: int, j: int, depth: int = 1) -> None:
-        """Append the pieces of the node of words i to j."""
+    def subtrees(self, i: int, j: int) -> tuple[list[int], list[int]]:
+        """Starts of the largest subtrees that fit into a piece, and j; the level of the boundary at each start."""
         t = self.tokens_at
-        todo = [(i, j, depth)]
+        starts, levels = [], []
+        todo = [(i, j, 1, 0)]
         while todo:
-            i, j, depth = todo.pop()
+            i, j, depth, level = todo.pop()
             if t[j] - t[i] <= self.room(i) or j - i == 1:
-                self.out.append((i, j))
+                starts.append(i)
+                levels.append(level)
                 continue
             while depth < WORD and len(cuts := self.children(i, j, depth)) == 2:
                 depth += 1
-            if depth == WORD:
-                cuts = self.children(i, j, WORD)
-            parts: list[tuple[int, int, int]] = []
-            k, last = 0, len(cuts) - 1
-            while k < last:
-                # as many siblings as fit, at least one
-                end = min(last, max(k + 1, bisect_left(cuts, True, k + 1, last + 1, key=lambda c, a=cuts[k]: t[c] - t[a] > self.room(a)) - 1))
-                parts.append((cuts[k], cuts[end], depth + 1))
-                k = end
-            todo.extend(reversed(parts))
+            if depth == WORD:  # words, a few together: nothing tells them apart
+                cuts, step = [i], self.room(1) / 4
+                for k in range(i + 1, j):
+                    if t[k + 1] - t[cuts[-1]] > step:
+                        cuts.append(k)
+                cuts.append(j)
+            todo.extend((cuts[k], cuts[k + 1], min(depth + 1, WORD), depth if k else level) for k in range(len(cuts) - 2, -1, -1))
+        starts.append(j)
+        glued = self.glued
+        return starts, [GLUED if a in glued and k else b for k, (a, b) in enumerate(zip(starts, levels, strict=False))]
+
+    def pack(self, i: int, j: int) -> None:
+        """Append the pieces of words i to j."""
+        starts, levels = self.subtrees(i, j)
+        at = [self.tokens_at[w] for w in starts]
+        k, last = 0, len(starts) - 1
+        while k < last:
+            room, base = self.room(starts[k]), at[k]
+            end = max(k + 1, bisect_right(at, base + room, k + 1) - 1)
+            if end < last:
+                rest = at[last] - base
+                if end > k + 1:
+                    if rest <= room + self.room(1):  # two pieces: also mind what is left for the second
+                        first = bisect_left(at, max(at[last] - self.room(1), base + room / 4), k + 1, end)
+                        end = min(range(first, end + 1), key=lambda e: (levels[e], abs(at[last] + base - 2 * at[e])))
+                    else:
+                        first = bisect_left(at, base + FILL * room, k + 1, end)
+                        end = min(range(first, end + 1), key=lambda e: (levels[e], -e))
+            self.out.append((starts[k], starts[end]))
+            k = end
 
     def end_run(self, i: int, j: int) -> int:
         """What the count of words i to j changes by when white space at their end is pre-split without what follows."""

@@ -80,3 +80,19 @@ def test_long_reference_list_is_refused(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_ENTRIES", 3)
     with pytest.raises(ValueError):
         L.load(spark.createDataFrame(VENUES, "venue_id int, name string, short_name string, kind string"), "venue_id", "name", "short_name", "kind")
+
+
+def test_long_values_and_words():
+    d = L.Dictionary([*VENUES, (9, "Symposium on " + "Pneumonoultramicroscopicsilicovolcanoconiosis", None, "symposium")])
+    assert d.lookup("proceedings of the " + "forty second gathering held by many people in towns " * 6 + "European Conference on Acoustic Learning Theory") == 1
+    assert d.lookup("Symposium on Pneumonoultramicroscopicsilicovolcanoconioss") == 9
+
+
+def test_blocks_equal_one_dictionary(spark, monkeypatch):
+    """A list longer than one broadcast gives what the whole list gives, repeated rows included."""
+    rows = [(i % 40, t) for i, (t, _) in enumerate(CASES)] + [(None, "ECALT"), (3, "ECALT"), (3, "ECALT"), (4, None)]
+    df = spark.createDataFrame(rows, "id int, typed string").withColumn("entry", F.lit("clash"))
+    reference = spark.createDataFrame(VENUES, "venue_id int, name string, short_name string, kind string")
+    want = sorted(L.map_values(df, "id", "typed", VENUES).collect(), key=str)
+    monkeypatch.setattr(L, "MAX_ENTRIES", 6)
+    assert sorted(L.map_to_list(df, "id", "typed", reference, "venue_id", "name", "short_name", "kind").collect(), key=str) == want

@@ -156,3 +156,22 @@ def test_pack_documents(spark, automaton):
     rows = [(i, "s", t) for i, t in enumerate(TEXTS)] + [(100, None, None), (101, "", "")]
     got = [r.asDict() for r in P.pack_documents(spark.createDataFrame(rows, "key bigint, source string, text string"), "key", "source", "text", 256, 4).collect()]
     check_packing([(k, s, automaton.count(t)) for k, s, t in rows], got, 256)
+
+
+def test_bottom_up(automaton):
+    """Headed sections of any size: pieces are well filled, none ends with a heading, and joined they are the text."""
+    rng = random.Random(8)
+    words = "the model learns a sparse index of claims and papers from long noisy lists while readers wait".split()
+    fill, small = [], 0
+    for _ in range(60):
+        text = ""
+        for k in range(12):
+            text += f"{'#' * rng.randint(1, 2)} Part {k}\n\n"
+            for _ in range(rng.randint(1, 9)):
+                text += " ".join(" ".join(rng.choices(words, k=rng.randint(5, 25))).capitalize() + "." for _ in range(rng.randint(1, 6))) + "\n\n"
+        pieces = S.split_text(text, automaton, 512, 32)
+        assert "".join(text[b + o : e] for b, e, o, _ in pieces) == text and all(n <= 512 for *_, n in pieces)
+        assert not any(text[b:e].rstrip().splitlines()[-1].startswith("#") for b, e, _, _ in pieces)
+        fill += [n / 512 for *_, n in pieces]
+        small += sum(n < 128 for *_, n in pieces)
+    assert sum(fill) / len(fill) >= 0.8 and small < 0.1 * len(fill)
