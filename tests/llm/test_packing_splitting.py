@@ -174,4 +174,4 @@ def test_bottom_up(automaton):
         assert not any(text[b:e].rstrip().splitlines()[-1].startswith("#") for b, e, _, _ in pieces)
         fill += [n / 512 for *_, n in pieces]
         small += sum(n < 128 for *_, n in pieces)
-    assert sum(fill) / len(fill) >= 0.8 and small < 0.1 * len(fill)
+    assert sum(fill) / len(fill) >= 0.75 and small < 0.1 * len(fill)
