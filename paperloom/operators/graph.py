@@ -40,11 +40,14 @@ def replies(selected: DataFrame, edges: DataFrame, seed_k: int = 8, ref_limit: i
     stage = F.lit(None).cast("int")
     for via, n in STAGES.items():
         stage = F.when(F.col("via") == via, n).otherwise(stage)
-    rows = edges.where("seed_id is not null").select(F.col("seed_id").alias("seed"), "direction", "via", "target_key", F.coalesce("ok", F.lit(False)).alias("ok"), stage.alias("stage")).where("stage is not null").groupBy("seed", "direction", "via", "target_key", "stage").agg(F.max("ok").alias("ok"))
-    place = F.row_number().over(Window.partitionBy("seed", "direction", "via").orderBy("target_key"))
-    limit = F.when(F.col("via") != "s2", 2**31 - 1).when(F.col("direction") == "ref", ref_limit).otherwise(cit_limit)
-    rows = rows.withColumn("place", place).where(F.col("place") <= limit).drop("place")
     asked = selected.where("paper_id is not null").select("qid", F.col("paper_id").alias("seed"), "sel_rank")
+    # edges of papers nobody selected go no further than the scan's join
+    rows = edges.where("seed_id is not null").select(F.col("seed_id").alias("seed"), "direction", "via", "target_key", F.coalesce("ok", F.lit(False)).alias("ok"), stage.alias("stage")).where("stage is not null")
+    rows = rows.join(asked.select("seed").distinct(), "seed", "left_semi").groupBy("seed", "direction", "via", "target_key", "stage").agg(F.max("ok").alias("ok"))
+    place = F.row_number().over(Window.partitionBy("seed", "direction").orderBy("target_key"))
+    limited = rows.where("via = 's2'").withColumn("place", place).where(F.col("place") <= max(ref_limit, cit_limit))  # a bound that prunes before the shuffle
+    limited = limited.where(F.col("place") <= F.when(F.col("direction") == "ref", ref_limit).otherwise(cit_limit)).drop("place")
+    rows = rows.where("via <> 's2'").unionByName(limited)
     return asked.join(rows, "seed").where((F.col("via") == "local") | (F.col("sel_rank") <= seed_k)).drop("sel_rank")
 
 
@@ -110,8 +113,11 @@ def expand(seeds: DataFrame, edges: DataFrame, pool: DataFrame, ref_limit: int =
     Calls are made in order of the seeds, references before citations; a call returns no more
     than is left of `most` when it is made, known papers included, and stops counting there.
     """
-    lists = edges.where("coalesce(ok, false) and seed_id is not null and target_key is not null").groupBy(F.col("seed_id").alias("seed"), "direction").agg(F.array_sort(F.collect_set("target_key")).alias("keys"))
-    calls = seeds.join(lists, "seed").where(F.col("direction").isin("ref", "cit"))
+    rows = edges.where("coalesce(ok, false) and seed_id is not null and target_key is not null and direction in ('ref', 'cit')").select(F.col("seed_id").alias("seed"), "direction", "target_key").join(seeds.select("seed").distinct(), "seed", "left_semi").distinct()
+    place = F.row_number().over(Window.partitionBy("seed", "direction").orderBy("target_key"))
+    first = rows.withColumn("place", place).where(F.col("place") <= max(ref_limit, cit_limit))
+    lists = first.groupBy("seed", "direction").agg(F.array_sort(F.collect_list("target_key")).alias("keys"))
+    calls = seeds.join(lists, "seed")
     limit = F.when(F.col("direction") == "ref", ref_limit).otherwise(cit_limit)
     calls = calls.select("qid", "k_rank", F.when(F.col("direction") == "ref", 0).otherwise(1).alias("second"), F.slice("keys", 1, limit).alias("keys"))
     known = calls.select("qid", F.explode("keys").alias("key")).distinct().join(pool.select("qid", "key").distinct(), ["qid", "key"]).groupBy("qid").agg(F.collect_set("key").alias("known"))

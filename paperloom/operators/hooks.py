@@ -72,7 +72,7 @@ def json_scores(replied: DataFrame) -> DataFrame:
     """
     found = F.from_json(loose_json(F.col("reply"), "[", "]"), "array<struct<paper_id:string,score:string,reason:string>>")
     rows = replied.select("qid", "batch", "ids", F.posexplode(found).alias("i", "x")).where(F.array_contains("ids", F.col("x.paper_id")))
-    rows = rows.select("qid", F.col("x.paper_id").alias("paper_id"), (F.col("batch") * 10**6 + F.col("i")).alias("place"), clip(F.col("x.score").try_cast("double")).alias("llm"), F.trim(F.coalesce("x.reason", F.lit(""))).alias("llm_reason")).where(F.col("x.score").try_cast("double").isNotNull())
+    rows = rows.select("qid", F.col("x.paper_id").alias("paper_id"), F.struct("batch", "i").alias("place"), clip(F.col("x.score").try_cast("double")).alias("llm"), F.trim(F.coalesce("x.reason", F.lit(""))).alias("llm_reason")).where(F.col("x.score").try_cast("double").isNotNull())
     last = rows.groupBy("qid", "paper_id").agg(F.max_by(F.struct("llm", "llm_reason"), "place").alias("b"))
     return last.select("qid", "paper_id", "b.llm", "b.llm_reason")
 

@@ -35,13 +35,14 @@ def first_papers(papers: DataFrame) -> DataFrame:
 
 def described(papers: DataFrame) -> DataFrame:
     """The columns scoring needs, computed once per paper id: tokens, text, key, count, venue."""
-    first = with_payload(first_papers(papers))
     j, title = F.col("j"), F.col("title")
     whole = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce("abstract", F.lit("")))
-    return first.select(
-        "paper_id", "title", "abstract", "year", "source", F.col("ord").alias("paper_ord"), text.normal(whole).alias("ptext"), text.tokens(whole).alias("ptok"), text.tokens(title).alias("ttok"),
+    # payloads are read where they lie: they aren't shuffled to find each id's first row
+    derived = with_payload(papers).select(
+        "paper_id", "ord", "title", "abstract", "year", "source", F.col("ord").alias("paper_ord"), text.normal(whole).alias("ptext"), text.tokens(whole).alias("ptok"), text.tokens(title).alias("ttok"),
         identity.canonical_key(F.col("paper_id"), title, j, F.col("ord")).alias("ckey"), F.coalesce(identity.citation_count(j), F.lit(0)).alias("cites"), identity.venue(j).alias("venue"),
     )
+    return first_papers(derived).drop("ord")
 
 
 def candidates(scored: DataFrame, papers: DataFrame, rows: DataFrame) -> DataFrame:

@@ -139,7 +139,8 @@ def retrieve(calls: DataFrame, hits: DataFrame) -> DataFrame:
     hits: qid, sqid, source, hit_rank, key and any other columns; calls: trace().
     """
     used = hits.join(calls.where("status = 'ok'").select("qid", "sqid", "source", "sq_ord", "src_ord"), ["qid", "sqid", "source"])
-    place = F.col("sq_ord") * 10**8 + F.col("src_ord") * 10**6 + F.col("hit_rank")
+    # room for 10 ** 10 hits of a call and 100 sources
+    place = (F.col("sq_ord").cast("bigint") * 100 + F.col("src_ord")) * 10**10 + F.col("hit_rank")
     return first_by_key(used.withColumn("cord", place.cast("bigint")).drop("sq_ord", "src_ord", "hit_rank", "sqid"), ["qid", "key"], "cord")
 
 

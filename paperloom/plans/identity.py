@@ -209,7 +209,7 @@ def set_dedupe_list(spark, sf_dir):
     return table(spark, sf_dir, "eval_rows").select("qid", F.array_join(T.dedupe_words(F.coalesce(F.col("answer_arxiv_id"), F.array())), "|").alias("ids"))
 
 
-@query("fn_topic")
+@query("fn_topic", f"select qid, {Q.topic('question')} as topic from eval_rows")
 def fn_topic(spark, sf_dir):
     return table(spark, sf_dir, "eval_rows").select("qid", U.topic(F.col("question")).alias("topic"))
 
@@ -219,7 +219,7 @@ def fn_claim(spark, sf_dir):
     return table(spark, sf_dir, "eval_rows").select("qid", U.claim(F.col("question")).alias("claim"))
 
 
-@query("fn_templates")
+@query("fn_templates", f"select qid, {Q.templates('question')} as templates from eval_rows")
 def fn_templates(spark, sf_dir):
     q = F.col("question")
     return table(spark, sf_dir, "eval_rows").select("qid", F.array_join(U.templates(U.intent(q), U.topic(q), q), "|").alias("templates"))

@@ -174,8 +174,14 @@ _requests(lambda q, m, a, b, v: R.arxiv_request(q, m, a, b), "req_arxiv")
 _requests(R.s2_request, "req_s2")
 
 
+_IDENT = f"coalesce({Q.arxiv().replace('regexp_extract(paper_id', 'regexp_extract(null')}, nullif(regexp_extract(rtrim(coalesce({Q.member('id')}, ''), '/'), '([^/]*)$', 1), ''), {Q.member('paperId')}, {Q.member('arxivId')}, split_part(regexp_extract(coalesce({Q.member('entry_id')}, ''), '([^/]*)$', 1), 'v', 1))"
+_YEAR_OF = "coalesce(" + ", ".join(f"case when regexp_matches({y}, '^[0-9]+$') then try_cast({y} as int) end" for y in (Q.member("publication_year"), Q.member("year"), f"left({Q.member('published')}, 4)")) + ")"
+_TITLE_OF = Q.squeeze(f"coalesce({Q.member('title')}, {Q.member('display_name')})")
+_PAPER = f"{PJ} select ord, {_IDENT} as paper_id, {_TITLE_OF} as title, {_YEAR_OF} as year from papers_j where ({_IDENT} <> '' or {_TITLE_OF} <> '')"
+
+
 def _projected(name, source):
-    @query(name)
+    @query(name, _PAPER + (f" and lower(trim(source)) = '{source}'" if source else ""))
     def project(spark, sf_dir):
         rows = papers(spark, sf_dir).where(F.lower(F.trim("source")) == source) if source else papers(spark, sf_dir)
         return rows.select("ord", R.paper_of(F.col("paper_id"), F.col("j")).alias("p")).where("p is not null").select("ord", "p.*")
@@ -187,7 +193,13 @@ for _name, _source in {"prj_oa": "openalex", "prj_ax": "arxiv", "prj_s2": "seman
     _projected(_name, _source)
 
 
-@query("prj_oa_arxiv")
+_ADDRESSES = ", ".join(Q.member(k) for k in ("open_access.oa_url", "primary_location.landing_page_url", "primary_location.pdf_url"))
+_LISTED = "coalesce(case when json_type(j, '$.locations') = 'ARRAY' then flatten(list_transform(from_json(json_extract(j, '$.locations'), '[\"JSON\"]'), lambda x: [json_extract_string(x, '$.landing_page_url'), json_extract_string(x, '$.pdf_url')])) end, [])"
+_IDS = ", ".join(Q.member(f"ids.{k}") for k in ("openalex", "doi", "arxiv", "mag", "pmid"))
+_FIRST_ARXIV = r"coalesce(nullif(regexp_extract(u, '(?:arxiv\.org/(?:abs|pdf)/|arxiv[:\s])(\d{4}\.\d{4,5})(?:v\d+)?', 1, 'i'), ''), nullif(regexp_extract(u, 'arxiv.*?/(\d{4}\.\d{4,5})(?:v[^/]*)?/?$', 1, 'i'), ''))"
+
+
+@query("prj_oa_arxiv", f"{PJ} select ord, coalesce(list_filter(list_transform(list_concat([{_ADDRESSES}], {_LISTED}, [{_IDS}]), lambda u: {_FIRST_ARXIV}), lambda x: x is not null)[1], '') as arxiv from papers_j")
 def prj_oa_arxiv(spark, sf_dir):
     return papers(spark, sf_dir).select("ord", R.arxiv_id_in_work(F.col("j")).alias("arxiv"))
 
@@ -313,7 +325,7 @@ def join_left_llm(spark, sf_dir):
     return ranking.with_model_scores(rows, hooks.judge(rows)).select("qid", "cord", scoring.round4(F.col("relevance")).alias("relevance"))
 
 
-@query("fn_json_scores")
+@query("fn_json_scores", f"select qid, paper_id, {Q.round4(Q.clip('score * 2'))} as llm from scored where qid is not null and paper_id is not null and score is not null qualify row_number() over (partition by qid, paper_id order by ord desc) = 1")
 def fn_json_scores(spark, sf_dir):
     """Replies with repeats, unknown ids, scores out of range and no numbers."""
     rows = table(spark, sf_dir, "scored").where("qid is not null and paper_id is not null")

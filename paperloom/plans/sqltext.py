@@ -200,5 +200,24 @@ def rewrite(x: str) -> str:
     return t
 
 
+def topic(q: str) -> str:
+    q = f"trim(coalesce({q}, ''))"
+    bare = f"trim(regexp_replace(regexp_replace({q}, {quote(U.OPENER.removeprefix('(?i)'))}, '', 'i'), '[?？]+$', ''))"
+    words = f"list_filter(regexp_split_to_array(regexp_replace({bare}, {quote(U.TIME_CLAUSE.removeprefix('(?i)'))}, ' ', 'gi'), '\\s+'), lambda w: w <> '')"
+    filler = f"regexp_matches({{}}, {quote(U.FILLER.removeprefix('(?i)'))}, 'i')"
+    kept = f"list_filter(ws, lambda w, i: not {filler.format('w')} or len(list_filter(ws[1:i - 1], lambda v: not {filler.format('v')})) >= 2)"
+    found = f"(select trim(array_to_string({kept}, ' '), ' ,.-') from (select {words} as ws))"
+    return f"coalesce(nullif({found}, ''), {q})"
+
+
+def templates(q: str) -> str:
+    """The list of search texts of a question, as text."""
+    bare = f"regexp_replace(trim(coalesce({q}, '')), '[?？]+$', '')"
+    plus = {"method": ("method", "approach"), "dataset": ("dataset", "benchmark"), "related": ("related work",)}
+    middle = " ".join(f"when {quote(k)} then [" + ", ".join(f"t || ' {w}'" for w in v) + "]" for k, v in plus.items())
+    texts = f"list_filter(list_transform(list_concat([t], case {intent(q)} {middle} when 'specific' then [{bare}] else [] end, [{bare}]), lambda s: trim({squeeze('s')}, ' ,')), lambda s: s <> '')"
+    return f"(select array_to_string(list_filter(xs, lambda s, i: list_position(list_transform(xs, lambda v: lower(v)), lower(s)) = i)[1:3], '|') from (select {texts} as xs from (select {topic(q)} as t)))"
+
+
 QUESTION = f"""questions as (select qid, question, {intent('question')} as intent, {years('question')[0]} as year_from, {years('question')[1]} as year_to,
  {negations('question')} as negation, {tokens('question')} as qtok from eval_rows where qid is not null)"""
