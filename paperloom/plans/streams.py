@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.scoring import round4
 from paperloom.operators.shred import parse_payload
+from paperloom.plans import sqltext as Q
+from paperloom.plans.identity import PJ
 from paperloom.plans.registry import Registry
 from paperloom.session import shared_path, table
 from paperloom.sources import files, providers
@@ -54,7 +56,7 @@ def src_sqlite(spark, sf_dir):
     return cache.table().select("id", F.col("seq").bitwiseAND(2**40 - 1).alias("seq"))
 
 
-@query("src_arxiv_batch")
+@query("src_arxiv_batch", "select distinct id, id in (select paper_id from papers where paper_id is not null) as cached from (select unnest(answer_arxiv_id) as id from eval_rows) where id is not null")
 def src_arxiv_batch(spark, sf_dir):
     """Ids of answers against a cache of the papers: hits, and misses left for a provider."""
     cache = files.IdCache(spark)
@@ -72,16 +74,16 @@ def _lines(batches):
 
 
 def _provider(name: str, provider: str):
-    @query(name)
+    ident, title, year = (Q.member(k) for k in providers.NAMES[provider])
+    text = lambda x: f"coalesce({x}, '')"
+    sql = f"{PJ} select '{provider}' as provider, {text(ident)} as paper_id, {text(title)} as title, case when regexp_matches(left({year}, 4), '^[0-9]+$') then try_cast(left({year}, 4) as int) end as year from papers_j where json_exists(j, '$.{providers.NAMES[provider][0]}')"
+
+    @query(name, sql)
     def read(spark, sf_dir):
         path = shared_path(spark, "works")
-        table(spark, sf_dir, "papers").select("raw").mapInArrow(_lines, "value string").coalesce(1).write.option("compression", "none").text(path)
+        table(spark, sf_dir, "papers").select("raw").mapInArrow(_lines, "value string").write.option("compression", "none").text(path)
         providers.register(spark)
-        files_path = path.removeprefix("file://")
-        import os
-
-        single = next(os.path.join(files_path, f) for f in os.listdir(files_path) if f.endswith(".txt"))
-        return spark.read.format("papers").option("path", single).option("provider", provider).load().select("provider", "place", "paper_id", "title", "year")
+        return spark.read.format("papers").option("path", path).option("provider", provider).load().select("provider", "paper_id", "title", "year")
 
     return read
 
