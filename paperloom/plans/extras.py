@@ -11,7 +11,7 @@ from paperloom.operators import evaluate, hooks, organize, planning, ranking
 from paperloom.operators import retrieval as R
 from paperloom.operators.shred import PAPER_ENTITIES, entities
 from paperloom.plans import sqltext as Q
-from paperloom.plans.identity import PJ, papers
+from paperloom.plans.identity import PJ, REWRITTEN, papers
 from paperloom.plans.registry import Registry
 from paperloom.plans.retrieval import sub_queries
 from paperloom.plans.scoring import FILTERED, ORDER, candidates, filtered
@@ -118,7 +118,7 @@ def flt_variant_hc(spark, sf_dir):
     return rows.select("qid", variants.high_confidence("canon", "variant").alias("ok"))
 
 
-@query("set_except_mod")
+@query("set_except_mod", f"select qid, cast(len({Q.dedupe("list_filter(coalesce(answer, []), lambda x: x is not null and lower(x) <> lower(answer[1]))")}) as int) as n from eval_rows")
 def set_except_mod(spark, sf_dir):
     """Answers that aren't the first one, letter case aside."""
     rows = table(spark, sf_dir, "eval_rows").select("qid", F.coalesce("answer", F.array().cast("array<string>")).alias("a"))
@@ -126,7 +126,7 @@ def set_except_mod(spark, sf_dir):
     return rows.select("qid", F.size(text.dedupe_words(F.filter(F.array_compact("a"), lambda x: F.lower(x) != first))).alias("n"))
 
 
-@query("fn_rewrite_fb")
+@query("fn_rewrite_fb", f"select qid, case when len(string_split(c, ' ')) <= 2 and f <> '' then f else coalesce(c, question) end as search_text from (select qid, question, c.search_text as c, string_split({Q.templates('question')}, '|')[1] as f from eval_rows left join ({REWRITTEN}) c using (qid))")
 def fn_rewrite_fb(spark, sf_dir):
     """Texts of two words or fewer fall back to the intent's template."""
     q = F.col("question")
@@ -140,7 +140,7 @@ def fn_transform(spark, sf_dir):
     return table(spark, sf_dir, "venues").select("venue_id", planning.swap_kind(F.col("name"), F.col("short_name")).alias("kind"))
 
 
-@query("fn_expand_norm")
+@query("fn_expand_norm", f"select qid, text, case when i = 1 then 'core' else 'conceptual' end as angle from (select qid, i, {Q.squeeze('answer[i]')} as text from (select qid, answer, unnest(generate_series(1, len(answer))) as i from eval_rows)) where text <> '' qualify row_number() over (partition by qid, lower(text) order by i) = 1")
 def fn_expand_norm(spark, sf_dir):
     """Pairs of text and angle, the first of each text."""
     rows = table(spark, sf_dir, "eval_rows").select("qid", F.transform(F.coalesce("answer", F.array().cast("array<string>")), lambda t, i: F.struct(text.squeeze(t).alias("text"), F.when(i == 0, "core").otherwise("conceptual").alias("angle"))).alias("x"))

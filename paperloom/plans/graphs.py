@@ -9,6 +9,7 @@ from paperloom.functions import identity, scoring, text, understanding
 from paperloom.operators import graph as G
 from paperloom.operators import organize as O
 from paperloom.operators import pool
+from paperloom.operators import retrieval as R
 from paperloom.plans import sqltext as Q
 from paperloom.plans.identity import ALIASES
 from paperloom.plans.registry import Registry
@@ -108,7 +109,18 @@ def join_anti_expand(spark, sf_dir):
     return reached.join(known, ["qid", "key"], "left_anti")
 
 
-@query("win_expand_budget")
+_EXPANDED = f"""{SELECTED}, pool as ({_POOL}), lists as (select seed_id, direction, target_key as key, row_number() over (partition by seed_id, direction order by target_key) as rn from (select distinct seed_id, direction, target_key from edges where ok and seed_id is not null and target_key is not null and direction in ('ref', 'cit')) qualify rn <= 5),
+ reached as (select s.qid, l.key, min(s.sel_rank * 1000 + case when l.direction = 'ref' then 0 else 500 end + l.rn) as o from sel0 s join lists l on l.seed_id = s.paper_id where s.sel_rank <= 3 and s.score >= 0.3 group by 1, 2), expanded as (select qid, key, cast(row_number() over (partition by qid order by o) - 1 as int) as place from reached anti join pool using (qid, key))"""
+
+
+@query("join_anti_merge", f"{_EXPANDED} select qid, key from pool union all select qid, key from expanded")
+def join_anti_merge(spark, sf_dir):
+    """Each question's papers and those its best ones lead to."""
+    known = table(spark, sf_dir, "scored").where("qid is not null and paper_id is not null").select("qid", F.col("paper_id").alias("key")).distinct()
+    return R.merge(known, win_expand_budget(spark, sf_dir).select("qid", "key"))
+
+
+@query("win_expand_budget", f"{_EXPANDED} select qid, place, key from expanded")
 def win_expand_budget(spark, sf_dir):
     seeds = selected(spark, sf_dir).where("sel_rank <= 3 and score >= 0.3").select("qid", F.col("paper_id").alias("seed"), F.col("sel_rank").alias("k_rank"))
     known = table(spark, sf_dir, "scored").where("qid is not null and paper_id is not null").select("qid", F.col("paper_id").alias("key"))

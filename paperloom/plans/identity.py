@@ -159,9 +159,12 @@ _STEPS = [f"s0 as (select qid, {Q.squeeze('question')} as t from eval_rows)"] +
 _N = len(T.OPENINGS)
 
 
-@query("fn_rewrite", f"""with {', '.join(_STEPS)}, a as (select qid, trim(regexp_replace(t, '[?？!！.]+$', '')) as t from s{_N}),
+REWRITTEN = f"""with {', '.join(_STEPS)}, a as (select qid, trim(regexp_replace(t, '[?？!！.]+$', '')) as t from s{_N}),
  b as (select qid, case when len(string_split(t, ' ')) > 24 then trim(regexp_replace(array_to_string(string_split(t, ' ')[1:24], ' '), {Q.quote(T.LEADING)}, '', 'i')) else t end as t from a)
- select qid, case when t <> '' and len(string_split(t, ' ')) >= 2 then lower(t) end as search_text from b""")
+ select qid, case when t <> '' and len(string_split(t, ' ')) >= 2 then lower(t) end as search_text from b"""
+
+
+@query("fn_rewrite", REWRITTEN)
 def fn_rewrite(spark, sf_dir):
     return table(spark, sf_dir, "eval_rows").select("qid", T.rewrite(F.col("question")).alias("search_text"))
 
@@ -191,9 +194,9 @@ def flt_title_like(spark, sf_dir):
     return table(spark, sf_dir, "papers").where(T.looks_like_title(F.col("title"))).select("ord")
 
 
-@query("flt_claim_like", "select qid from eval_rows where " + " or ".join(f"contains(' ' || lower(coalesce(question, '')) || ' ', {Q.quote(m)})" for m in T.CLAIM_MARKS))
+@query("flt_claim_like", "select doc_id from documents where " + " or ".join(f"contains(' ' || lower(coalesce(text, '')) || ' ', {Q.quote(m)})" for m in T.CLAIM_MARKS))
 def flt_claim_like(spark, sf_dir):
-    return table(spark, sf_dir, "eval_rows").where(T.looks_like_claim(F.col("question"))).select("qid")
+    return table(spark, sf_dir, "documents").where(T.looks_like_claim(F.col("text"))).select("doc_id")
 
 
 _X, _Y = f"list_distinct(string_split({Q.normal('question')}, ' '))", f"list_distinct(string_split({Q.normal('answer[1]')}, ' '))"
@@ -204,7 +207,7 @@ def flt_similar(spark, sf_dir):
     return table(spark, sf_dir, "eval_rows").select("qid", T.similar(F.col("question"), F.try_element_at("answer", F.lit(1)), 0.25).alias("similar"))
 
 
-@query("set_dedupe_list")
+@query("set_dedupe_list", f"select qid, array_to_string({Q.dedupe('coalesce(answer_arxiv_id, [])')}, '|') as ids from eval_rows")
 def set_dedupe_list(spark, sf_dir):
     return table(spark, sf_dir, "eval_rows").select("qid", F.array_join(T.dedupe_words(F.coalesce(F.col("answer_arxiv_id"), F.array())), "|").alias("ids"))
 
@@ -214,7 +217,7 @@ def fn_topic(spark, sf_dir):
     return table(spark, sf_dir, "eval_rows").select("qid", U.topic(F.col("question")).alias("topic"))
 
 
-@query("fn_claim")
+@query("fn_claim", f"select qid, {Q.claim('question')} as claim from eval_rows")
 def fn_claim(spark, sf_dir):
     return table(spark, sf_dir, "eval_rows").select("qid", U.claim(F.col("question")).alias("claim"))
 

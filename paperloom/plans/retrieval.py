@@ -43,9 +43,9 @@ def op_understand(spark, sf_dir):
     return sub_queries(spark, sf_dir)
 
 
-@query("op_heuristic", f"with {Q.QUESTION} select qid, intent, year_from, year_to, array_to_string(negation, '|') as negation from questions")
+@query("op_heuristic", f"with {Q.QUESTION} select qid, intent, year_from, year_to, array_to_string(negation, '|') as negation, {Q.topic('question')} as topic, {Q.method('question')} as method, {Q.claim('question')} as claim from questions")
 def op_heuristic(spark, sf_dir):
-    return understood(spark, sf_dir).select("qid", "intent", "year_from", "year_to", F.array_join("negation", "|").alias("negation"))
+    return understood(spark, sf_dir).select("qid", "intent", "year_from", "year_to", F.array_join("negation", "|").alias("negation"), "topic", "method", "claim")
 
 
 @query("op_plan")
@@ -63,12 +63,12 @@ def op_assemble(spark, sf_dir):
     return sub_queries(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sq_ord", "text"))), lambda x: x["text"]), " | ").alias("texts"))
 
 
-@query("fn_criteria")
+@query("fn_criteria", f"with {Q.criteria()} select * from crit")
 def fn_criteria(spark, sf_dir):
     return understood(spark, sf_dir).select("qid", F.posexplode("criteria").alias("place", "c")).select("qid", "place", "c.type", "c.text", "c.required", "c.weight")
 
 
-@query("agg_weight_norm")
+@query("agg_weight_norm", f"with {Q.criteria()} select qid, count(*) as n, {Q.round4('sum(weight)')} as total from crit where type not in ('negation', 'intent') group by qid")
 def agg_weight_norm(spark, sf_dir):
     rows = fn_criteria(spark, sf_dir).where("type not in ('negation', 'intent')")
     return rows.groupBy("qid").agg(F.count("*").alias("n"), scoring.round4(F.sum("weight")).alias("total"))
@@ -304,12 +304,6 @@ def win_iterate(spark, sf_dir):
     return R.iterate(known, refine, table(spark, sf_dir, "eval_rows").where("qid is not null"), rounds=2)[1]
 
 
-@query("join_anti_merge", "select distinct e.seed_id, e.target_key from edges e where e.target_key is not null and e.seed_id is not null and e.target_key not in (select paper_id from papers where paper_id is not null)")
-def join_anti_merge(spark, sf_dir):
-    known = table(spark, sf_dir, "papers").where("paper_id is not null").select(F.col("paper_id").alias("target_key"))
-    return table(spark, sf_dir, "edges").where("target_key is not null and seed_id is not null").select("seed_id", "target_key").distinct().join(known, "target_key", "left_anti").select("seed_id", "target_key")
-
-
 _STUB = "('0x' || left(md5(coalesce(question, '') || paper_id), 4))::int / 65535::double"
 
 

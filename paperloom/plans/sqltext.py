@@ -219,5 +219,36 @@ def templates(q: str) -> str:
     return f"(select array_to_string(list_filter(xs, lambda s, i: list_position(list_transform(xs, lambda v: lower(v)), lower(s)) = i)[1:3], '|') from (select {texts} as xs from (select {topic(q)} as t)))"
 
 
+def dedupe(items: str) -> str:
+    """A list without blanks and repeats, letter case aside."""
+    texts = f"list_filter(list_transform({items}, lambda s: {squeeze('s')}), lambda s: s <> '')"
+    return f"(select list_filter(xs, lambda s, i: list_position(list_transform(xs, lambda v: lower(v)), lower(s)) = i) from (select {texts} as xs))"
+
+
+def method(q: str) -> str:
+    return f"nullif(trim(regexp_extract(coalesce({q}, ''), {quote(U.METHOD_CUE)}, 1, 'i')), '')"
+
+
+def claim(q: str) -> str:
+    out = []
+    for p in U.CLAIMS:
+        at, size = f"length(regexp_extract(cq, {quote('(?is)^(.*?)' + p)}, 1)) + 1", f"length(regexp_extract(cq, {quote('(?is)^.*?(' + p.replace('(?:', '(').replace('(', '(?:') + ')')}, 1))"
+        out.append(f"when regexp_matches(cq, {quote(p)}, 'i') then trim({squeeze(f'substr(cq, greatest(1, {at} - 30), {at} + {size} + 30 - greatest(1, {at} - 30))')}, ' ,.;:')")
+    return f"(select case {' '.join(out)} end from (select trim(coalesce({q}, '')) as cq))"
+
+
+def criteria() -> str:
+    """place, type, text, required, weight of each question's criteria, as `crit`."""
+    from paperloom.operators.planning import CRITERIA
+
+    weigh = " ".join(f"when {quote(k)} then {w}::double" for k, (w, _) in CRITERIA.items())
+    return f"""cu as (select qid, question, {intent('question')} as intent, {topic('question')} as topic, {method('question')} as method, {claim('question')} as claim, {negations('question')} as negation from eval_rows where qid is not null),
+ c0 as (select qid, 0 as k, 0 as i, 'topic' as type, coalesce(nullif(topic, ''), {squeeze('question')}) as text from cu union all select qid, 1, 0, 'method', method from cu where method is not null union all select qid, 2, 0, 'claim', claim from cu where coalesce(claim, '') <> ''
+  union all select qid, 3, i, 'negation', negation[i] from (select qid, negation, unnest(generate_series(1, len(negation))) as i from cu)),
+ c1 as (select *, case type {weigh} end as w from c0 qualify row_number() over (partition by qid, type, {normal('text')} order by k, i) = 1),
+ c2 as (select qid, k, i, type, text, true as required, case when sum(w) over (partition by qid) > 0 then {round4('w / sum(w) over (partition by qid)')} else w end as weight from c1 union all select qid, 9, 0, 'intent', intent, false, 0.0::double from cu),
+ crit as (select qid, cast(row_number() over (partition by qid order by k, i) - 1 as int) as place, type, text, required, weight from c2)"""
+
+
 QUESTION = f"""questions as (select qid, question, {intent('question')} as intent, {years('question')[0]} as year_from, {years('question')[1]} as year_to,
  {negations('question')} as negation, {tokens('question')} as qtok from eval_rows where qid is not null)"""
