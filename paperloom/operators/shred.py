@@ -198,9 +198,36 @@ def _pivot(table: Adjacency, specs: Iterable[Entity]) -> Iterator[tuple[str, np.
         yield spec.kind, nodes, parent_row[nodes] if len(spec.path) > 1 else np.full(len(nodes), -1), text[nodes]
 
 
-def entities(df: DataFrame, key: str, payload: str, specs: Iterable[Entity] = PAPER_ENTITIES) -> DataFrame:
+def _scalars_below(table: Adjacency, nodes: np.ndarray) -> dict[int, list[tuple[str, str]]]:
+    """The scalars below each entity node, by their label paths, those of further entities below it left out.
+
+    A label of several scalars carries their ordinals from the second on: lineage, lineage[1].
+    """
+    own = set(nodes.tolist())
+    owner, name = [-1] * len(table.node), [""] * len(table.node)
+    found: dict[int, list[tuple[str, str]]] = {n: [] for n in own}
+    # parents come before their children
+    for row, (parent, label, ordinal, kind) in enumerate(zip(table.parent_row, table.label, table.ordinal, table.kind, strict=True)):
+        if row in own:
+            owner[row] = row
+            if kind == _SCALAR:
+                found[row].append(("", table.scalar[row]))
+        elif parent >= 0 and owner[parent] >= 0:
+            owner[row] = owner[parent]
+            label = f"{label}[{ordinal}]" if ordinal else label
+            name[row] = f"{name[parent]}.{label}" if name[parent] else label
+            if kind == _SCALAR:
+                found[owner[row]].append((name[row], table.scalar[row]))
+    return found
+
+
+def entities(df: DataFrame, key: str, payload: str, specs: Iterable[Entity] = PAPER_ENTITIES, scalars: bool = False) -> DataFrame:
     """Entity rows of every readable payload, with their link to the parent entity.
 
+    scalars: also the column scalars map<string,string>, all scalars of the entity by label
+    path (author_position, author.id, lineage, lineage[1]), '' being its own value; of paths
+    that occur twice, as by labels with dots in them, the first stays.
+
     Columns: `key`, kind string, node int, parent int (node of the parent entity, -1 for
     top-level entities), pos int (ordinal of the top-level entity), sub_pos int (ordinal
     within the parent, -1 for top-level entities), item_text string ('' where the naming
@@ -224,8 +251,11 @@ def entities(df: DataFrame, key: str, payload: str, specs: Iterable[Entity] = PA
                 if not table.node:
                     continue
                 record, node, ordinal = (np.asarray(x, np.int32) for x in (table.record, table.node, table.ordinal))
-                for kind, nodes, parents, text in _pivot(table, specs):
+                found = list(_pivot(table, specs))
+                below = _scalars_below(table, np.concatenate([x[1] for x in found])) if scalars and found else {}
+                for kind, nodes, parents, text in found:
                     nested = parents >= 0
+                    more = [pa.array([list({k: v for k, v in reversed(below[n])}.items())[::-1] for n in nodes.tolist()], pa.map_(pa.string(), pa.string()))] if scalars else []
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column(0).take(pa.array(record[nodes])),
@@ -235,8 +265,10 @@ def entities(df: DataFrame, key: str, payload: str, specs: Iterable[Entity] = PA
                             pa.array(np.where(nested, ordinal[parents], ordinal[nodes]).astype(np.int32)),
                             pa.array(np.where(nested, ordinal[nodes], -1).astype(np.int32)),
                             pa.array(["" if t is None else t for t in text], pa.string()),
+                            *more,
                         ],
-                        names=["rec", "kind", "node", "parent", "pos", "sub_pos", "item_text"],
+                        names=["rec", "kind", "node", "parent", "pos", "sub_pos", "item_text", "scalars"][: 7 + scalars],
                     )
 
-    return source.mapInArrow(run, f"rec {kind_of_key}, kind string, node int, parent int, pos int, sub_pos int, item_text string").withColumnRenamed("rec", key)
+    schema = f"rec {kind_of_key}, kind string, node int, parent int, pos int, sub_pos int, item_text string" + (", scalars map<string,string>" if scalars else "")
+    return source.mapInArrow(run, schema).withColumnRenamed("rec", key)

@@ -77,3 +77,12 @@ def test_parse_payload():
     assert parse_payload('"{}"') == {}
     assert parse_payload('"plain"') is None
     assert parse_payload("null") is None
+
+
+def test_all_scalars(spark):
+    payload = {"id": "W1", "authorships": [{"author_position": "first", "author": {"id": "A1", "display_name": "Ann"}, "institutions": [{"id": "I1", "lineage": ["I1", None, "I3"], "country_code": None}]}, "Bo"], "locations": {"landing_page_url": "u", "pdf_url": "v", "source": {"issn": ["1", "2"]}}, "referenced_works": ["W2"]}
+    rows = entities(frame(spark, [(1, json.dumps(payload)), (2, "{}"), (3, None)]), "ord", "raw", scalars=True).collect()
+    assert {(r["kind"], r["pos"], r["sub_pos"]): r["scalars"] for r in rows} == {
+        ("author", 0, -1): {"author_position": "first", "author.id": "A1", "author.display_name": "Ann"}, ("author", 1, -1): {"": "Bo"}, ("affiliation", 0, 0): {"id": "I1", "lineage": "I1", "lineage[2]": "I3"},
+        ("location", 0, -1): {"landing_page_url": "u", "pdf_url": "v", "source.issn": "1", "source.issn[1]": "2"}, ("reference", 0, -1): {"": "W2"},
+    }
