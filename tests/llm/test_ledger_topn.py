@@ -75,3 +75,22 @@ def test_top_n(spark, n):
         assert set(got) == brute_top(rows, n) and len(got) == len(set(got))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert top_n(df.limit(0), "qid", "score", "ord", n).count() == 0
+
+
+def test_small_batches_leave_the_ledger_alone(spark):
+    """A small batch becomes a table of its own; counts and earliest rows are those of all rows, whatever the batches."""
+    rows = [(f"p{i % 400}", f"Title {i % 400}", i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "paper_id string, title string, ord bigint")
+    ledger = L.Ledger(spark, 4)
+    ledger.update(df.where("ord >= 500"), ("paper_id", "title"), "ord")
+    first = ledger.runs[0]
+    for low in range(0, 500, 50):
+        ledger.update(df.where(f"ord >= {low} and ord < {low + 50}"), ("paper_id", "title"), "ord")
+        assert low or (ledger.runs[0] == first and len(ledger.runs) == 2)
+    got = sorted((r.keep_ord, r.n) for r in ledger.table().collect())
+    assert got == [(i, 5) for i in range(400)] and len(ledger.runs) <= 4
+    runs = ledger.runs
+    ledger.update(df.where("ord < 0"), ("paper_id", "title"), "ord")
+    assert ledger.runs == runs
+    ledger.drop()
+    assert ledger.table().count() == 0
