@@ -56,7 +56,10 @@ def queue_items(sizes: DataFrame, key: str, source: str, size: str, capacity: in
     that ends leaves later windows to the others. Null sources are the queue ''. Items of
     size 0 or null cost one token in their queue, so that they too are spread over windows.
     """
-    rows = sizes.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("n")).withColumn("h", F.xxhash64("k"))
+    rows = sizes.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("n"))
+    # rows that are alike, however many, are numbered, so that no bucket gets all of them
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c"))).alias("copy")
+    rows = materialize(rows.groupBy("k", "src", "n").agg(F.count("*").alias("c")).select("k", "src", "n", copy).withColumn("h", F.xxhash64("k", "n", "copy")), "queues")
     buckets = max(1, rows.count() // BUCKET_ROWS)
     rows = rows.withColumn("b", F.pmod("h", F.lit(buckets)).cast("int")).withColumn("cost", F.greatest("n", F.lit(1)))
     sums = rows.groupBy("src", "b").agg(F.sum("cost").alias("cost"))
@@ -69,7 +72,7 @@ def queue_items(sizes: DataFrame, key: str, source: str, size: str, capacity: in
     shares = totals.select("src", weight.alias("weight")).withColumn("quantum", F.greatest(F.col("weight") / F.sum("weight").over(Window.partitionBy()) * F.lit(float(capacity * window_containers)), F.lit(1.0))).select("src", "quantum")
     before = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("src", "b", F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("base")).join(shares, "src")
-    within = Window.partitionBy("src", "b").orderBy("h", "k", "n").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "b").orderBy("h", "k", "n", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.select("src", "b", "k", "n", F.coalesce(F.sum("cost").over(within), F.lit(0)).alias("off")).join(base, ["src", "b"])
     pieces = placed.select("k", "src", "n", "quantum", (F.col("base") + F.col("off")).alias("served"), F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / F.lit(capacity)) - 1, F.lit(0)).cast("int"))).alias("piece"))
     start = F.col("piece").cast("bigint") * capacity

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from paperloom.llm.ledger import Ledger, copies, in_batches
 from paperloom.llm.linkage import link, link_classes
 from paperloom.llm.lookup import map_to_list, misses
@@ -69,6 +71,13 @@ def p7_windows(spark, sf_dir):
     return window_mixture(sizes, "doc_id", "source", "n_tokens")
 
 
+def p7_mixture(spark, sf_dir):
+    """Windows packed to target shares: the two largest sources weigh a quarter each, the others what they hold."""
+    sizes = materialize(token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"), "sizes")
+    named = [r[0] for r in sizes.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("n")).orderBy(F.col("n").desc(), "source").limit(2).collect()]
+    return window_mixture(sizes, "doc_id", "source", "n_tokens", targets=dict.fromkeys(named, 0.25))
+
+
 def p8_pieces(spark, sf_dir):
     return split_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -76,7 +85,7 @@ def p8_pieces(spark, sf_dir):
 _CANON = r"lower(upper(regexp_replace(coalesce({}, ''), '[\p{{P}}\s\p{{Z}}\x{{85}}\x{{1C}}-\x{{1F}}]', '', 'g')))"
 _CANON_ROWS = f"select ord, {_CANON.format('paper_id')} a, {_CANON.format('title')} b from papers"
 
-QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_values": p4_values, "p4_misses": p4_misses, "p5_found": p5_found, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_windows": p7_windows, "p8_pieces": p8_pieces}
+QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_values": p4_values, "p4_misses": p4_misses, "p5_found": p5_found, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_windows": p7_windows, "p7_mixture": p7_mixture, "p8_pieces": p8_pieces}
 ORACLE = {
     "p2_found": f"select keep_ord, ord as copy_ord from (select ord, min(ord) over (partition by a, b) keep_ord from ({_CANON_ROWS}) where a <> '' and b <> '') where ord > keep_ord",
     "p2_ledger": f"select min(ord) keep_ord, count(*) n from ({_CANON_ROWS}) where a <> '' and b <> '' group by a, b",

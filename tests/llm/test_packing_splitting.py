@@ -175,3 +175,17 @@ def test_bottom_up(automaton):
         fill += [n / 512 for *_, n in pieces]
         small += sum(n < 128 for *_, n in pieces)
     assert sum(fill) / len(fill) >= 0.75 and small < 0.1 * len(fill)
+
+
+def test_many_alike_spread_over_buckets(spark, monkeypatch):
+    """A third of the rows is one row: each copy is packed, and windows stay within their tokens."""
+    monkeypatch.setattr(P, "BUCKET_ROWS", 50)
+    rows = [(None, "a", 7)] * 300 + [(i, "ab"[i % 2], 1 + i % 9) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, src string, size int")
+    items = P.queue_items(df, "id", "src", "size", 20, 4)
+    per_window = {}
+    for r in items.collect():
+        per_window[r.win] = per_window.get(r.win, 0) + r.n
+    assert sum(per_window.values()) == sum(r[2] for r in rows) and max(per_window.values()) <= 80 + 2 * 9
+    got = P.pack(df, "id", "src", "size", 20, 4).collect()
+    assert sorted((str(r["id"]), r["n_tokens"]) for r in got) == sorted((str(r[0]), r[2]) for r in rows)
