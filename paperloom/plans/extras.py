@@ -46,9 +46,9 @@ def src_oa_vendor(spark, sf_dir):
     return top.select("ord", F.row_number().over(Window.orderBy(F.col("c").desc(), "ord")).alias("place"))
 
 
-@query("src_oa_refs_vendor", "select seed_id, target_key, cast(row_number() over (partition by seed_id order by target_key) as int) as place from (select distinct e.seed_id, e.target_key from edges e where e.via = 'openalex' and e.direction = 'ref' and e.ok and e.seed_id is not null and e.target_key in (select paper_id from papers)) qualify place <= 20")
+@query("src_oa_refs_vendor", "with d as (select distinct seed_id, target_key from edges where via = 'openalex' and direction = 'ref' and ok and seed_id is not null), n as (select seed_id, count(target_key) as n from d group by seed_id) select seed_id, target_key, cast(row_number() over (partition by seed_id order by target_key) as int) as place from d join n using (seed_id) where target_key in (select paper_id from papers) qualify n <= 100 or place <= 20")
 def src_oa_refs_vendor(spark, sf_dir):
-    """Known references of each seed; of a seed with more than 100 references, the first 20 (the SQL cuts every seed to 20)."""
+    """Known references of each seed; of a seed with more than 100 references, the first 20."""
     known = table(spark, sf_dir, "papers").where("paper_id is not null").select(F.col("paper_id").alias("target_key"))
     rows = table(spark, sf_dir, "edges").where("via = 'openalex' and direction = 'ref' and ok and seed_id is not null").select("seed_id", "target_key").distinct()
     sized = rows.join(rows.groupBy("seed_id").agg(F.count("target_key").alias("n")), "seed_id").join(known, "target_key", "left_semi")
